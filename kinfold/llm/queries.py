@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import consolidate
+from kinfold.llm import consolidate, survivor
 from kinfold.session import table
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return survivor.survivors(*(table(spark, root, t) for t in ("canonical_records", "localities", "survivor_labels")))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return consolidate.consolidate(table(spark, root, "linkage_pairs"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
     "p7_found": p7_found,
 }
 
