@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import consolidate, survivor
+from kinfold.llm import consolidate, pagespam, survivor
 from kinfold.session import table
 
 
@@ -18,9 +18,14 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return consolidate.consolidate(table(spark, root, "linkage_pairs"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return pagespam.spam_pages(table(spark, root, "documents"), table(spark, root, "page_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p7_found": p7_found,
+    "p10_found": p10_found,
 }
 
 ORACLE: dict[str, str] = {
