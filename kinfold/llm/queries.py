@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import consolidate, pagespam, survivor
+from kinfold.llm import consolidate, mixing, packing, pagespam, survivor
 from kinfold.session import table
 
 
@@ -22,9 +22,29 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return pagespam.spam_pages(table(spark, root, "documents"), table(spark, root, "page_labels"))
 
 
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"), table(spark, root, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, root), table(spark, root, "container_sizes"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(p9_mixture(spark, root), table(spark, root, "mix_targets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
