@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import consolidate, mixing, packing, pagespam, survivor
-from kinfold.session import table
+from kinfold.llm import consolidate, mixing, packing, pagespam, premises, survivor
+from kinfold.session import Scratch, table
+
+
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    wanted = {t: table(spark, root, t) for t in ("ekarmika_records", "bescom_records", "bwssb_records")}
+    more = {t: table(spark, root, t) for t in ("fbis_records", "kspcb_records")}
+    parsed = premises.parsed_addresses(spark, wanted, more, table(spark, root, "localities"), Scratch(spark, "p1"))
+    return premises.same_premises(parsed)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return premises.premises_pairs(p1_classes(spark, root))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -39,6 +50,8 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
