@@ -63,10 +63,11 @@ def rows(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def read_all(spark: SparkSession, tables: dict[str, DataFrame], localities: DataFrame, scratch: Scratch, more: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The parts (`PARTS`) of all records; the registers `more` only help to learn names of places."""
+def read_all(spark: SparkSession, tables: dict[str, DataFrame], localities: DataFrame, scratch: Scratch, more: dict[str, DataFrame]) -> DataFrame:
+    """The parts (`PARTS`) of all records; the registers `more`, which have fields for the
+    locality, teach further names of places."""
     places = premises.place_rows(localities)
-    aliases = premises.learn_aliases(premises.address_rows({**tables, **(more or {})}), places)
+    aliases = premises.learn_aliases(premises.address_rows(more), places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Places(places, aliases)

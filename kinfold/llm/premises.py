@@ -299,9 +299,8 @@ def premises_pairs(classed: DataFrame) -> DataFrame:
 
 
 def parsed_addresses(spark: SparkSession, wanted: dict[str, DataFrame], more: dict[str, DataFrame], localities: DataFrame, scratch: Scratch) -> DataFrame:
-    """Parts of the addresses of `wanted`; the registers `more` only help to learn names of places."""
+    """Parts of the addresses of `wanted`; the registers `more`, which have fields for
+    the locality, teach further names of places."""
     places = place_rows(localities)
-    rows = address_rows({**wanted, **more})
-    aliases = learn_aliases(rows, places)
-    own = rows.where(F.col("register").isin(list(wanted)))
-    return scratch.write(read_all(own, places, aliases), "parsed")
+    aliases = learn_aliases(address_rows(more), places)
+    return scratch.write(read_all(address_rows(wanted), places, aliases), "parsed")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import consolidate, mixing, packing, pagespam, premises, survivor
+from kinfold.llm import consolidate, matching, mixing, packing, pagespam, parties, premises, spellings, survivor
 from kinfold.session import Scratch, table
 
 
@@ -21,6 +21,25 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return premises.premises_pairs(p1_classes(spark, root))
 
 
+def _parties(spark: SparkSession, root: str, label: str, *registers: str) -> DataFrame:
+    wanted = {t: table(spark, root, t) for t in registers}
+    more = {t: table(spark, root, t) for t in ("fbis_records", "kspcb_records")}
+    return parties.read_all(spark, wanted, table(spark, root, "localities"), Scratch(spark, label), more)
+
+
+def p2_matches(spark: SparkSession, root: str) -> DataFrame:
+    records = _parties(spark, root, "p2", "ekarmika_records", "fbis_records", "kspcb_records", "bescom_records")
+    return matching.closed(matching.match(records, table(spark, root, "review_pairs")), records)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_matches(spark, root).select("record_a", "record_b")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return spellings.variants(_parties(spark, root, "p4", "fbis_records", "ekarmika_records", "bescom_records"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return survivor.survivors(*(table(spark, root, t) for t in ("canonical_records", "localities", "survivor_labels")))
 
@@ -52,6 +71,9 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_matches": p2_matches,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
