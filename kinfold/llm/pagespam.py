@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.fitting import logistic, sigmoid
 from kinfold.session import Scratch
 
 WINDOW = 24
@@ -191,19 +192,6 @@ class Model:
     def __init__(self, window=None, page=None):
         self.window, self.page = window, page
 
-    @staticmethod
-    def _logit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-        w = np.zeros(x.shape[1])
-        for _ in range(80):
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-            grad = x.T @ (weight * (y - p)) - ridge * w
-            hess = (x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(w))
-            step = np.linalg.solve(hess, grad)
-            w = w + step
-            if np.abs(step).max() < 1e-6:
-                break
-        return w
-
     @staticmethod
     def _scaled(x: np.ndarray, of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return np.clip((x - of[0]) / of[1], -4.0, 4.0)
@@ -212,7 +200,7 @@ class Model:
         if self.window is None:
             return ((x[:, 1] > 0.25) | ((x[:, 4] > 0.3) & (x[:, 5] < 0.35))).astype(float)
         scale, w = self.window
-        return 1.0 / (1.0 + np.exp(-np.clip(_expand(self._scaled(x, scale)) @ w, -30, 30)))
+        return sigmoid(_expand(self._scaled(x, scale)) @ w)
 
     @staticmethod
     def _page(text_of: np.ndarray, q: np.ndarray, page: np.ndarray) -> np.ndarray:
@@ -228,11 +216,11 @@ class Model:
     def fit(self, text_of: np.ndarray, x: np.ndarray, page: np.ndarray, y: np.ndarray) -> Model:
         size = np.maximum(np.bincount(text_of, minlength=len(y)), 1)
         scale = (x.mean(0), x.std(0) + 1e-9)
-        self.window = (scale, self._logit(_expand(self._scaled(x, scale)), y[text_of], 1.0 / np.sqrt(size[text_of]), 3.0))
+        self.window = (scale, logistic(_expand(self._scaled(x, scale)), y[text_of], 1.0 / np.sqrt(size[text_of]), 3.0))
         page = self._page(text_of, self._windows(x), page)
         scale = (page.mean(0), page.std(0) + 1e-9)
         z = np.hstack([self._scaled(page, scale), np.ones((len(page), 1))])
-        self.page = (scale, self._logit(z, y, np.ones(len(y)), 1.0))
+        self.page = (scale, logistic(z, y, np.ones(len(y)), 1.0))
         return self
 
     def score(self, text_of: np.ndarray, x: np.ndarray, page: np.ndarray) -> np.ndarray:
@@ -240,7 +228,7 @@ class Model:
         if self.page is None:
             return page[:, 1]
         scale, w = self.page
-        return 1.0 / (1.0 + np.exp(-np.clip(np.hstack([self._scaled(page, scale), np.ones((len(page), 1))]) @ w, -30, 30)))
+        return sigmoid(np.hstack([self._scaled(page, scale), np.ones((len(page), 1))]) @ w)
 
 
 def _reader(lookup, frequent):

@@ -33,6 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.fitting import choice
 from kinfold.session import Scratch
 
 FIELDS = ("phone", "employee_count", "pin_code")
@@ -199,7 +200,7 @@ def _terms(sources: list[str]) -> list[Column]:
 
 
 def _fit(candidates: DataFrame, truth: DataFrame, sources: list[str]) -> dict[str, list[float]]:
-    """Weights per field from the reviewed groups: Newton steps of a ridge conditional logit."""
+    """Weights per field from the reviewed groups: a conditional logit."""
     # a group of very many candidates teaches no more than others, so only its size keeps it out
     rows = (
         candidates.join(truth, ["ubid", "field_name"])
@@ -218,20 +219,7 @@ def _fit(candidates: DataFrame, truth: DataFrame, sources: list[str]) -> dict[st
             continue
         prior = np.zeros(dim)
         prior[0] = 1.0  # few labels: the learned odds decide
-        w = prior.copy()
-        for _ in range(50):
-            grad, hess = prior - w, np.eye(dim)
-            for x, y in sets:
-                z = x @ w
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                mean = p @ x
-                grad = grad + x[y] - mean
-                hess += (x.T * p) @ x - np.outer(mean, mean)
-            step = np.linalg.solve(hess, grad)
-            w = w + step
-            if np.abs(step).max() < 1e-6:
-                break
+        w = choice(sets, prior)
         weights[field] = [round(float(v), 9) for v in w]
     return weights
 
