@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def trigrams(c: Column) -> Column:
@@ -123,7 +124,7 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def _pairwise(fn, scale: float = 1.0):
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def over(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[tuple, float | None] = {}
         out = []
