@@ -80,7 +80,7 @@ def top_evidence(contributed: DataFrame, k: int = 7) -> DataFrame:
     order = Window.partitionBy("identity").orderBy(F.desc(F.abs("contribution")), "event_id")
     ranked = contributed.withColumn("rank", F.least(F.row_number().over(order), F.lit(k + 1)))
     return ranked.groupBy("identity", "rank").agg(
-        F.round(F.sum("contribution"), 4).alias("contribution"),
+        (F.round(F.sum("contribution"), 4) + F.lit(0.0)).alias("contribution"),  # no negative zero
         F.when(F.col("rank") <= k, F.min("event_id")).alias("event_id"),
         F.count(F.lit(1)).alias("n_events"),
     )

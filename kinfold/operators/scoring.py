@@ -107,7 +107,7 @@ class TrainedScorer:
         gbt = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, seed=self.seed, validationIndicatorCol="held", validationTol=0.001)
         self.model = gbt.fit(data)
         scored = self.model.transform(data.where("held")).withColumn("raw", vector_to_array("probability")[1])
-        self.isotonic = IsotonicRegression(featuresCol="raw_vector").fit(self._vector(scored))
+        self.isotonic = IsotonicRegression(featuresCol="raw_vector").fit(self._vector(scored.select("label", "raw")))
         return self
 
     @staticmethod
