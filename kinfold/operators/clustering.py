@@ -44,8 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def inline_edges(scored: DataFrame, must: DataFrame, cannot: DataFrame, auto: float = 0.95) -> DataFrame:
     """Edges used at ingest: automatic links and must-links, without pairs that are cannot-linked
     themselves (joins through a third record stay)."""
-    positive = undirected(scored.where((F.col("p") >= auto) | F.coalesce(F.col("det_match"), F.lit(False))))
-    return positive.union(undirected(must)).distinct().join(undirected(cannot), ["a", "b"], "left_anti")
+    positive = scored.where((F.col("p") >= auto) | F.coalesce(F.col("det_match"), F.lit(False))).select("a", "b")
+    return undirected(positive.union(must.select("a", "b"))).join(undirected(cannot), ["a", "b"], "left_anti")
 
 
 def constrained_clusters(nodes: DataFrame, scored: DataFrame, must: DataFrame, cannot: DataFrame, auto: float = 0.95, reject: float = 0.20) -> DataFrame:
@@ -53,9 +53,11 @@ def constrained_clusters(nodes: DataFrame, scored: DataFrame, must: DataFrame, c
     cannot-linked pair falls apart into singletons. Must-links override negatives, cannot-links all."""
     no = F.coalesce(~F.col("det_match"), F.lit(False)) | (F.col("p") < reject)
     yes = (F.col("p") >= auto) | F.coalesce(F.col("det_match"), F.lit(False))
+    # sides are united before they are made distinct, so that nothing rests on a union's partitioning
     must_, cannot_ = undirected(must), undirected(cannot)
-    positive = undirected(scored.where(yes & ~F.coalesce(~F.col("det_match"), F.lit(False)))).union(must_).distinct().join(cannot_, ["a", "b"], "left_anti")
-    negative = undirected(scored.where(no)).join(must_, ["a", "b"], "left_anti").union(cannot_).distinct()
+    linked = scored.where(yes & ~F.coalesce(~F.col("det_match"), F.lit(False))).select("a", "b")
+    positive = undirected(linked.union(must.select("a", "b"))).join(cannot_, ["a", "b"], "left_anti")
+    negative = undirected(scored.where(no)).join(must_, ["a", "b"], "left_anti").union(cannot_)
     labels = connected_components(positive)
     la = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     lb = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
