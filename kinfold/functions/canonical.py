@@ -119,7 +119,7 @@ def synonyms(extra: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, str]]:
 
 def locality_canonical(locality: Column, extra: tuple[tuple[str, str], ...] = ()) -> Column:
     """The locality by exact synonym, else by the first synonym of which either begins with the
-    other; NULL if neither. The approximate step is `plans.registers.resolve_localities`."""
+    other; NULL if neither. The approximate step is `similarity.resolve_localities`."""
     text = F.regexp_replace(F.lower(F.trim(locality)), r"[^a-z0-9\s]", " ")
     entries = synonyms(extra)
     exact = F.create_map(*[F.lit(x) for kv in entries for x in kv])[text]

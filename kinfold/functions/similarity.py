@@ -4,10 +4,13 @@ in Arrow batches, computed once per distinct pair of strings of a batch."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
+
+from kinfold.functions import canonical
+from kinfold.functions.dictionaries import LOCALITY_SYNONYMS
 
 
 def trigrams(c: Column) -> Column:
@@ -141,3 +144,24 @@ weighted_ratio_udf = _pairwise(weighted_ratio, 100.0)
 token_set_ratio_udf = _pairwise(token_set_ratio, 100.0)
 lcs_ratio_udf = _pairwise(lcs_ratio)
 jaro_winkler_udf = _pairwise(jaro_winkler)
+
+
+@pandas_udf(StringType())
+def _nearest_locality(texts: pd.Series) -> pd.Series:
+    names = [name for name, _ in LOCALITY_SYNONYMS]
+
+    def best(text: str | None) -> str | None:
+        scores = [token_set_ratio(text, n) for n in names] if text else [0.0]
+        return names[scores.index(max(scores))] if max(scores) >= 80.0 else None
+
+    return texts.map(best)
+
+
+def resolve_localities(frame: DataFrame, column: str) -> DataFrame:
+    """Adds `<column>_canonical`: by synonym or beginning, else the reference name whose word set is at
+    least 80 % alike. The slow step sees each distinct text that the others leave open once."""
+    quick = frame.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_c", canonical.locality_canonical(F.col(column)))
+    text = F.trim(F.regexp_replace(F.lower(F.col(column)), r"[^a-z0-9\s]", " "))
+    near = quick.where("_c IS NULL").withColumn("_c", _nearest_locality(text))
+    known = quick.where("_c IS NOT NULL").unionByName(near).withColumnRenamed("_c", f"{column}_canonical")
+    return frame.join(known, column, "left")

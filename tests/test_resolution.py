@@ -234,3 +234,9 @@ def test_readers_and_streaming(spark, tmp_path):
     csv = tmp_path / "r.csv"
     csv.write_text("a,b\n1,\n")
     assert readers.read_register_csv(spark, str(csv), ["a", "b"]).first().b is None
+
+
+def test_approximate_localities(spark):
+    df = spark.createDataFrame([("Area Industrial Jigani",), ("Peenya 1st Stage",), ("nowhere at all",), (None,)], "l string")
+    got = {r.l: r.l_canonical for r in S.resolve_localities(df, "l").collect()}
+    assert got == {"Area Industrial Jigani": "jigani industrial area", "Peenya 1st Stage": "peenya industrial area phase 1", "nowhere at all": None, None: None}
