@@ -225,8 +225,8 @@ class Model:
 
     def score(self, text_of: np.ndarray, x: np.ndarray, page: np.ndarray) -> np.ndarray:
         page = self._page(text_of, self._windows(x), page)
-        if self.page is None:
-            return page[:, 1]
+        if self.page is None:  # a page of which half the windows are flagged reaches the threshold
+            return np.minimum(1.0, page[:, 1] * 2 * THRESHOLD)
         scale, w = self.page
         return sigmoid(np.hstack([self._scaled(page, scale), np.ones((len(page), 1))]) @ w)
 
