@@ -282,9 +282,9 @@ def same_premises(parsed: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     found = components(edges).withColumnRenamed("node", "form")
     classed = named.join(found, "form", "left").withColumn("premises", F.coalesce("component", "form")).drop("component")
-    # forms whose number is ambiguous and that nothing settled are no class of their own
-    classed = classed.join(unclear, "form", "left_anti").unionByName(classed.join(unclear, "form").where("premises <> form"))
-    classed = scratch.write(classed, "classes")
+    # an ambiguous number alone is no class of its own; such a form has no edge, as strength 2 takes a building or a street
+    bare = unclear.join(forms.where("building = ''"), "form", "left_semi")
+    classed = scratch.write(classed.join(bare, "form", "left_anti"), "classes")
     many = classed.groupBy("premises").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("premises")
     return classed.join(many, "premises", "left_semi")
 

@@ -92,6 +92,14 @@ def test_same_premises(spark):
     assert got == {*itertools.combinations(["P1", "P4", "S1", "W1"], 2), *itertools.combinations(["P2", "P3", "S2"], 2)}
 
 
+def test_streetless_records_with_number_and_building_keep_their_pairs(spark):
+    forms = {"A": "gresa nivas|", "B": "gresa nivas|", "C": "gresa nivas|ring", "D": "|quarry", "E": "|", "F": "|", "G": "torva plaza|", "H": "torva plaza|"}
+    rows = [(k, "r", "1", "24", "", *f.split("|")) for k, f in forms.items()]
+    parsed = spark.createDataFrame(rows, "key string, register string, place string, number string, old string, building string, street string")
+    got = {tuple(r) for r in premises.premises_pairs(premises.same_premises(parsed)).collect()}
+    assert got == {("A", "B"), ("A", "C"), ("B", "C"), ("G", "H")}  # E and F: 24 is in two streets, and they name nothing else
+
+
 def test_prefix_index_finds_what_brute_force_finds(spark):
     rnd = random.Random(7)
     parts = [("1", rnd.choice(["12", "12/3", "13", "140", ""]), "", rnd.choice(["", "gresa nivas", "gresaa nivas", "torva plaza"]), rnd.choice(["", "ring", "4x5"])) for _ in range(60)]
