@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import canonical as C
@@ -41,13 +41,27 @@ def _events(spark: SparkSession, root: str) -> DataFrame:
 def _records(spark: SparkSession, root: str) -> DataFrame:
     """Earlier intake, each record once, with block keys."""
     rows = table(spark, root, "canonical_records").where("canonical_id IS NOT NULL").distinct()
-    stripped = C.strip_legal_suffix(F.col("name_normalized"))
-    return rows.withColumns(
+    email = C.clean_email(F.col("email"))
+    parts = rows.withColumns(
         {
             "pan": C.clean_pan(F.col("pan")), "legal_entity_pan": C.clean_pan(F.col("pan")), "phone": C.clean_phone(F.col("phone")),
-            "pin_code": C.pin_code(F.col("pin_code")), "name_legal_form_stripped": stripped,
+            "pin_code": C.pin_code(F.col("pin_code")), "name_legal_form_stripped": C.strip_legal_suffix(F.col("name_normalized")),
+            "door_number": C.door_number(F.col("address_raw")), "email": email, "email_domain": C.email_domain(email), "legal_form": _legal_form(F.col("name_normalized")),
         }
-    ).withColumns({"blocking_pin_name": F.when(F.col("pin_code").isNotNull(), F.concat_ws("|", "pin_code", C.name_prefix4(F.col("name_legal_form_stripped")))).otherwise(""), "blocking_pin_door": F.lit("")})
+    )
+    _, pin_name, pin_door = C.block_keys(F.col("name_legal_form_stripped"), F.col("pin_code"), F.col("door_number"))
+    return parts.withColumns({"blocking_pin_name": pin_name, "blocking_pin_door": pin_door})
+
+
+def _legal_form(name: Column) -> Column:
+    """The legal form that a name states in whole words; NULL if none."""
+    words = (("limited liability partnership", "llp"), ("private ltd", "pvt_ltd"), ("pvt limited", "pvt_ltd"), *D.FACTORY_LEGAL_FORMS)
+    return C.first_contained(F.concat(F.lit(" "), F.regexp_replace(name, r"\.", ""), F.lit(" ")), tuple((f" {w} ", v) for w, v in words))
+
+
+def _sql_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """The records with the blocks that the SQL of union_blocking and block_sizes states: all but pin_door."""
+    return _records(spark, root).withColumn("blocking_pin_door", F.lit(""))
 
 
 def _scored(spark: SparkSession, root: str) -> DataFrame:
@@ -294,11 +308,23 @@ UNION ALL SELECT canonical_id, 'legal_entity_pan', pan FROM {_RECORDS} WHERE pan
 @query(f"""WITH blocks AS {_BLOCKS} SELECT x.canonical_id AS canonical_id_a, y.canonical_id AS canonical_id_b, string_agg(DISTINCT x.t, ',' ORDER BY x.t) AS shared_blocks
 FROM blocks x JOIN blocks y ON x.t = y.t AND x.k = y.k AND x.canonical_id < y.canonical_id GROUP BY 1, 2""")
 def union_blocking(spark, root):
+    return blocking.candidates(_sql_blocks(spark, root)).withColumn("shared_blocks", F.array_join("shared_blocks", ","))
+
+
+@query()
+def union_blocking_all(spark, root):
+    """union_blocking with all of BLOCKS."""
     return blocking.candidates(_records(spark, root)).withColumn("shared_blocks", F.array_join("shared_blocks", ","))
 
 
 @query(f"WITH blocks AS {_BLOCKS} SELECT t AS block_type, count(*) AS n_keys, max(n) AS largest, sum(n * (n - 1) / 2)::BIGINT AS n_pairs FROM (SELECT t, k, count(*) AS n FROM blocks GROUP BY 1, 2) GROUP BY t")
 def block_sizes(spark, root):
+    return blocking.block_sizes(_sql_blocks(spark, root))
+
+
+@query()
+def block_sizes_all(spark, root):
+    """block_sizes with all of BLOCKS."""
     return blocking.block_sizes(_records(spark, root))
 
 
