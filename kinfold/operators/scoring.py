@@ -91,6 +91,10 @@ class TrainedScorer:
     def __init__(self, trees: int = 40, depth: int = 5, step: float = 0.1, seed: int = 42):
         self.trees, self.depth, self.step, self.seed = trees, depth, step, seed
 
+    def held(self) -> Column:
+        """Whether a labelled pair is kept out of the training."""
+        return F.pmod(F.xxhash64(F.lit(self.seed), "canonical_id_a", "canonical_id_b"), F.lit(5)) == 0
+
     def _assembled(self, featured: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
@@ -102,8 +106,7 @@ class TrainedScorer:
         from pyspark.ml.functions import vector_to_array
         from pyspark.ml.regression import IsotonicRegression
 
-        held = F.pmod(F.xxhash64(F.lit(self.seed), "canonical_id_a", "canonical_id_b"), F.lit(5)) == 0
-        data = self._assembled(featured).withColumn("held", held).withColumn("label", F.col("label").cast("double"))
+        data = self._assembled(featured).withColumn("held", self.held()).withColumn("label", F.col("label").cast("double"))
         gbt = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, seed=self.seed, validationIndicatorCol="held", validationTol=0.001)
         self.model = gbt.fit(data)
         scored = self.model.transform(data.where("held")).withColumn("raw", vector_to_array("probability")[1])

@@ -396,12 +396,13 @@ def scored_pairs(spark, root):
 
 @query()
 def trained_scores(spark, root):
-    """Trees trained on whether pairs share their group, applied to the held-out fifth."""
-    rows = features.pair_features(_pairs(spark, root)).withColumn("label", (F.col("a.ubid") == F.col("b.ubid")).cast("int")).where("label IS NOT NULL").drop("a", "b")
+    """Trees trained on whether pairs share their group, applied to every pair; `held` marks the labelled
+    pairs the trees were not trained on. They stop the training and fit the calibration."""
+    rows = features.pair_features(_pairs(spark, root)).withColumn("label", (F.col("a.ubid") == F.col("b.ubid")).cast("int")).drop("a", "b")
     rows = rows.persist()
-    model = scoring.TrainedScorer(trees=15, depth=4).fit(rows)
-    held = F.pmod(F.xxhash64(F.lit(42), "canonical_id_a", "canonical_id_b"), F.lit(5)) == 0
-    return model.transform(rows.where(held)).select("canonical_id_a", "canonical_id_b", "label", "raw_score", "calibrated_probability")
+    scorer = scoring.TrainedScorer()
+    scored = scorer.fit(rows.where("label IS NOT NULL")).transform(rows).withColumn("held", scorer.held() & F.col("label").isNotNull())
+    return scored.select("canonical_id_a", "canonical_id_b", "label", "raw_score", "calibrated_probability", "held")
 
 
 @query("SELECT DISTINCT canonical_id_a, canonical_id_b FROM linkage_pairs WHERE calibrated_probability BETWEEN 0.2 AND 0.97")

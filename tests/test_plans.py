@@ -29,3 +29,11 @@ def test_pair_features_know_door_mail_and_form(spark, root):
     near, far = rows["C000", "C001"], rows["C001", "C002"]
     assert (near.addr_door_eq, near.id_email_domain_eq, near.blk_shared_pin_door, near.struct_legal_form_compat) == (1.0, 1.0, 1.0, 0.2)
     assert (far.addr_door_eq, far.id_email_domain_eq, far.blk_shared_pin_door, far.struct_legal_form_compat) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_every_pair_gets_a_trained_score(spark, root):
+    rows = reference.trained_scores(spark, root).collect()
+    assert len(rows) == reference.pair_features_all(spark, root).count() == 3 * 80 - 6
+    assert all(r.raw_score is not None and 0 <= r.calibrated_probability <= 1 for r in rows)
+    assert {r.held for r in rows if r.label is not None} == {True, False}
+    assert {(r.label, r.held) for r in rows if "C079" in (r.canonical_id_a, r.canonical_id_b)} == {(None, False)}
