@@ -1,7 +1,8 @@
 """Variant spellings of names: exact radius joins in a partitioned metric space.
 
 The space. A point is a spelling in a neighbourhood: the distinctive words of a name together with a
-locality, with a telephone number, or (two-word names of firms) with trade and beginnings. The metric is Levenshtein distance between the words plus
+locality, with a telephone number, with a tax number, or (firms of two or more words) with their trade or its
+absence, in any place. The metric is Levenshtein distance between the words plus
 `APART` if the neighbourhoods differ; it is a metric because both parts are. `APART` exceeds the
 radius, so every neighbourhood is the cell of a pivot no other cell needs to be searched from.
 
@@ -10,6 +11,8 @@ distance to a name is the name's length. A point of distance d lies in ring d //
 into the next ring if d + radius reaches it; by the triangle inequality no pair within the radius
 lacks a common ring. Rings are cut into blocks joined pairwise, so no task holds a whole cell.
 
+Names of firms in any place are joined within `ANYWHERE`, the others within `RADIUS`.
+
 Inside, bag distance (a lower bound of edit distance) leaves few pairs to the exact metric. A name has
 points for typed and sorted word order, for persons one without all but the first letters of the given
 name (nicknames, initials), and for firms one with an initial in place of a word.
@@ -17,8 +20,10 @@ name (nicknames, initials), and for firms one with an initial in place of a word
 Pairs within the radius are then checked exactly: same trade, edits in proportion to length, and for
 abbreviated names the same premises or telephone.
 
-Defined results: names equal as strings are no pair; a missing or empty name, and records without a
-known locality and telephone, are in no pair. Re-delivered keys count once.
+Defined results: names equal as strings are no pair; a missing or empty name, and persons without a
+known locality, telephone and tax number, are in no pair. Persons and firms of one word are compared
+across localities only if they share a telephone or tax number: such names recur by chance, and most
+equal ones belong to different tax numbers. Re-delivered keys count once.
 """
 
 from __future__ import annotations
@@ -35,30 +40,38 @@ from kinfold.llm.addresses import edit
 from kinfold.session import Scratch
 
 RADIUS = 4
+#: Radius for names of firms that share nothing but the trade.
+ANYWHERE = 2
 APART = 100
 #: Points up to which a cell stays whole; above it rings and blocks of about this size are formed.
 CELL = 1_500
 
 
+def pans(r: dict) -> set[str]:
+    """Tax numbers of a record: its own and the one inside its GSTIN."""
+    return {r["pan"], r["gstin"][2:12] if r["gstin"] else None} - {None}
+
+
 def points(records: DataFrame) -> DataFrame:
     """cell, kind, text of each record's points: key, cell, kind, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[], [], [], []]
-            for key, core, trade, firm, initials, place, phone in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for r in batch.to_pylist():
+                key, core, trade, firm, initials, place, phone = (r[c] for c in ("key", "core", "trade", "firm", "initials", "place", "phone"))
                 own = names.keys(names.Name(tuple(core), trade, firm, tuple(initials)))
                 if not firm and core:
                     own += [("q", x + y[:2]) for x in core for y in (*core, *initials) if x is not y and len(x) >= 4]
-                two = sorted(core) if firm and trade and len(core) == 2 else None
-                for cell in (f"L{place}" if place else "", f"T{phone}" if phone else "", f"W{trade} {two[0][:2]} {two[1][:2]}" if two else ""):
+                whole = f"N{'castings' if trade == 'coatings' else trade}" if firm and len(core) > 1 else ""
+                for cell in (f"L{place}" if place else "", f"T{phone}" if phone else "", *(f"P{p}" for p in pans(r)), whole):
                     if cell:
-                        for kind, text in own if cell[0] != "W" else [("w", "".join(two))]:
+                        for kind, text in own if cell[0] != "N" else [("n", text) for text in _orders(core)]:
                             for at, v in enumerate((key, cell, kind, text)):
                                 rows[at].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.string()) for r in rows], ["key", "cell", "kind", "text"])
 
-    return records.select("key", "core", "trade", "firm", "initials", "place", "phone").mapInArrow(run, "key string, cell string, kind string, text string").distinct()
+    return records.select("key", "core", "trade", "firm", "initials", "place", "phone", "pan", "gstin").mapInArrow(run, "key string, cell string, kind string, text string").distinct()
 
 
 def _within(texts: list[str], radius: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -120,15 +133,18 @@ def _same_party(a: dict, b: dict, kind: str) -> bool:
     if a["firm"] != b["firm"]:
         return False
     spot = parties.same_spot(a, b)
-    call = bool(a["phone"]) and a["phone"] == b["phone"]
+    call = (bool(a["phone"]) and a["phone"] == b["phone"]) or bool(pans(a) & pans(b))
     near = spot is True or call
     if kind == "q":
         return near and _persons(a, b)
     if kind == "i":
         short = [bool(x["initials"]) and len(x["core"]) < 2 for x in (a, b)]
         return any(short) and near and (a["trade"] == b["trade"] or not (a["trade"] and b["trade"]))
-    if kind == "w":  # two rare words and the trade agree, wherever they are
-        return a["trade"] == b["trade"] and edit(*("".join(sorted(x["core"])) for x in (a, b)), 2) <= 2
+    if kind == "n":  # two rare words and the trade agree, wherever they are
+        d = min(edit(x, y, ANYWHERE) for x in _orders(a["core"]) for y in _orders(b["core"]))
+        starts = [[w[:2] for w in sorted(x["core"])] for x in (a, b)]
+        sure = starts[0] == starts[1] or min(len("".join(x["core"])) for x in (a, b)) >= 12
+        return d <= (ANYWHERE if a["trade"] and sure else 1)
     d = min(edit(x, y, RADIUS) for x in _orders(a["core"]) for y in _orders(b["core"]))
     length = min(len("".join(a["core"])), len("".join(b["core"])))
     alike = bool(a["trade"]) and a["trade"] == b["trade"]
@@ -163,7 +179,9 @@ def variants(records: DataFrame, radius: int = RADIUS) -> DataFrame:
     scratch = Scratch(records.sparkSession, "spellings")
     owned = scratch.write(points(records.where("name IS NOT NULL")), "points")
     spots = owned.select("cell", "kind", "text").distinct()
-    within = scratch.write(radius_join(spots, radius), "within")
+    anywhere = F.col("kind") == "n"
+    within = radius_join(spots.where(~anywhere), radius).unionByName(radius_join(spots.where(anywhere), min(radius, ANYWHERE)))
+    within = scratch.write(within, "within")
     same = spots.select("cell", "kind", F.col("text").alias("text_a"), F.col("text").alias("text_b"))
     # a spelling of one record only has no pair with itself
     many = owned.groupBy("cell", "kind", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -173,14 +191,15 @@ def variants(records: DataFrame, radius: int = RADIUS) -> DataFrame:
     b = owned.select("cell", "kind", F.col("text").alias("text_b"), F.col("key").alias("y"))
     met = spelled.join(a, ["cell", "kind", "text_a"]).join(b, ["cell", "kind", "text_b"]).where("x <> y")
     met = met.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"), "kind").distinct()
-    side = F.struct("name", "core", "trade", "firm", "initials", "place", "number", "old", "building", "street", "phone")
+    side = F.struct("name", "core", "trade", "firm", "initials", "place", "number", "old", "building", "street", "phone", "pan", "gstin")
     full = met.join(records.select(F.col("key").alias("record_a"), side.alias("a")), "record_a").join(
         records.select(F.col("key").alias("record_b"), side.alias("b")), "record_b"
     ).where("a.name <> b.name AND a.firm = b.firm")
     # what the exact check always asks for, before rows leave the JVM
     trades = F.expr("a.trade = b.trade OR a.trade = '' OR b.trade = '' OR (a.trade IN ('castings', 'coatings') AND b.trade IN ('castings', 'coatings'))")
     spot = F.expr("a.place = b.place AND a.place <> '' AND ((a.number = b.number AND a.number <> '') OR (a.old = b.old AND a.old <> '') OR (a.building <> '' AND b.building <> ''))")
-    close = spot | F.coalesce(F.expr("a.phone = b.phone"), F.lit(False))
+    taxed = F.arrays_overlap(*(F.array_compact(F.array(F.col(f"{s}.pan"), F.substring(f"{s}.gstin", 3, 10))) for s in "ab"))
+    close = spot | F.coalesce(F.expr("a.phone = b.phone"), F.lit(False)) | F.coalesce(taxed, F.lit(False))
     full = full.where(trades & (close | ~F.col("kind").isin("q", "i")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

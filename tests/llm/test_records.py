@@ -133,6 +133,18 @@ def test_name_variants(spark):
     assert got == {("P1", "S1"), ("F1", "S1"), ("F1", "P1"), ("P2", "P3")}
 
 
+def test_names_are_compared_across_localities(spark):
+    pan = "ABCPK1234F"
+    rows = [("A", "MELFA PVT LTD", ["melfa"], "", True, "1", pan, None), ("B", "Mellfa Private Limited", ["mellfa"], "", True, "2", None, f"29{pan}1Z5"), ("C", "Mellfa Foods", ["mellfa"], "foods", True, "3", None, None),
+            ("D", "Norlu Agencies", ["norlu"], "agencies", True, "1", None, None), ("E", "norloo agencies", ["norloo"], "agencies", True, "2", None, None),
+            ("F", "Vinatke Zorvo Tools", ["vinatke", "zorvo"], "tools", True, "1", None, None), ("G", "Binatke Zorvo Tools", ["binatke", "zorvo"], "tools", True, "", None, None),
+            ("H", "Kesa Torva Melfa", ["kesa", "torva", "melfa"], "", True, "1", None, None), ("I", "Kesa Torva Mellfa", ["kesa", "torva", "mellfa"], "", True, "2", None, None),
+            ("J", "Jayalatha", ["jayalatha"], "", False, "1", None, None), ("K", "Jayalata", ["jayalata"], "", False, "2", None, None)]
+    schema = "key string, name string, core array<string>, trade string, firm boolean, place string, pan string, gstin string, initials array<string>, number string, old string, building string, street string, phone string"
+    records = spark.createDataFrame([(*r, [], "", "", "", "", None) for r in rows], schema)
+    assert {tuple(r) for r in spellings.variants(records).collect()} == {("A", "B"), ("F", "G"), ("H", "I")}
+
+
 def test_matching_without_labels(spark):
     tables, places = registers(spark)
     records = read(spark, tables, places, "ekarmika_records", "fbis_records", "kspcb_records", "bescom_records")
