@@ -155,6 +155,14 @@ def test_matching_without_labels(spark):
     assert all(0 <= r.confidence <= 1 for r in found.collect())
 
 
+def test_misspelt_names_are_retrieved_across_localities(spark):
+    rows = [("A", "r", "1", ["vinatke", "zorvo"], None), ("B", "s", "2", ["binatke", "zorvo"], None), ("C", "s", "", ["vinadke", "sorvo"], None),
+            ("D", "r", "3", ["kesapan", "torva"], "ABCPK1234F"), ("E", "s", "4", ["kesapam", "torva"], "XYZPK1234F")]
+    schema = "key string, register string, place string, core array<string>, pan string, trade string, firm boolean, initials array<string>, number string, old string, building string, street string, phone string, gstin string, email string"
+    records = spark.createDataFrame([(*r, "tools", True, [], "", "", "", "", None, None, None) for r in rows], schema)
+    assert {(r.record_a, r.record_b) for r in matching.match(records).collect()} == {("A", "B"), ("A", "C")}
+
+
 def test_top_sets_do_not_depend_on_blocks(spark):
     tables, places = registers(spark, hot=60)
     records = read(spark, tables, places, "ekarmika_records", "fbis_records", "kspcb_records", "bescom_records")
