@@ -70,6 +70,40 @@ def edit(a: str, b: str, most: int = 99) -> int:
     return row[-1]
 
 
+#: Letters and groups that typists exchange.
+_VOWELS = (("oo", "u"), ("ee", "i"))
+_SOUNDS = (("ph", "f"), ("th", "t"), ("dh", "d"), ("w", "v"), ("y", "i"), ("c", "k"), ("q", "k"), ("z", "s"))
+
+
+def fold(word: str, vowels: bool = True) -> str:
+    """The word as it sounds: exchanged letters made equal, repeated letters once; `vowels`: oo and ee
+    count as u and i."""
+    for group, to in (*_VOWELS, *_SOUNDS) if vowels else _SOUNDS:
+        word = word.replace(group, to)
+    return "".join(c for i, c in enumerate(word) if not i or c != word[i - 1])
+
+
+def slips(a: str, b: str, most: int = 99) -> int:
+    """Edit distance in which two exchanged neighbours are one slip; above `most` any greater value."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            v = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, before[j - 2] + 1)
+            now[j] = v
+        if min(now) > most and min(row) >= most:
+            return most + 1
+        before, row = row, now
+    return row[-1]
+
+
 def grams(word: str, n: int = 2) -> frozenset[str]:
     w = f"^{word}$"
     return frozenset(w[i : i + n] for i in range(len(w) - n + 1))

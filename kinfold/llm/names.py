@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+
+from kinfold.llm.addresses import fold, slips
 
 # Words that occur around the distinctive part of a registered name.
 TRADES = (
@@ -42,30 +43,45 @@ def _subsequence(short: str, long: str) -> bool:
 
 def _near(a: str, b: str) -> bool:
     """At most two edits (one for words below seven letters)."""
-    from kinfold.llm.addresses import edit
-
     most = 2 if len(b) >= 7 else 1
-    return a[0] == b[0] and (edit(a, b, most) <= most or len(a) == len(b) and sorted(a) == sorted(b))
+    return a[0] == b[0] and slips(a, b, most) <= most
 
 
-@lru_cache(maxsize=200_000)
-def trade_of(word: str) -> str:
-    """The trade a word stands for, typed out, shortened or mistyped; '' if none."""
+def plain_trade(word: str) -> str:
+    """The trade a word spells out or abbreviates by its beginning; '' if none."""
     if word in SHORT_TRADES:
         return SHORT_TRADES[word]
-    if len(word) < 3:
-        return ""
     for t in TRADES:
         if word == t or (len(word) >= 4 and t.startswith(word)):
             return t
+    return ""
+
+
+#: Words of each worker already looked up; a plain dict, as cached functions do not travel with a job.
+_LOOKED_UP: dict[str, str] = {}
+
+
+def trade_of(word: str) -> str:
+    """The trade a word stands for, typed out, shortened or mistyped; '' if none."""
+    hit = _LOOKED_UP.get(word)
+    if hit is None:
+        if len(_LOOKED_UP) >= 200_000:
+            _LOOKED_UP.clear()
+        hit = _LOOKED_UP[word] = plain_trade(word) or _loose_trade(word)
+    return hit
+
+
+def _loose_trade(word: str) -> str:
+    if len(word) < 4:
+        return ""
     for t in TRADES:
         ends = word[-1] in (t[-1], t[-2]) or len(word) >= 5
-        if word[0] == t[0] and len(word) >= 4 and len(word) < len(t) and ends and _subsequence(word, t):
+        if word[0] == t[0] and len(word) < len(t) and ends and _subsequence(word, t):
             vowels = sum(c in "aeiou" for c in word)
             if vowels <= sum(c in "aeiou" for c in t) - 1 or len(word) >= len(t) - 2:
                 return t
     for t in TRADES:
-        if len(word) >= 4 and _near(word, t):
+        if _near(word, t):
             return t
     return ""
 
@@ -80,6 +96,7 @@ def read(name: str | None) -> Name:
     quality = trade = ""
     core: list[str] = []
     initials: list[str] = []
+    plain = len(tokens) > 1 and any(plain_trade(w) for w in tokens)
     for i, w in enumerate(tokens):
         if w in LEGAL:
             firm = True
@@ -87,12 +104,13 @@ def read(name: str | None) -> Name:
             firm = True
         elif core and i == len(tokens) - 1 and 2 <= len(w) <= 3 and w not in SHORT_TRADES and any(x.startswith(w) for x in _CUT):
             firm = True  # cut off at the end of the field
-        elif w in QUALITIES and len(tokens) > 1 and not core:
+        elif w in QUALITIES and len(tokens) > 1 and (not core or i == len(tokens) - 1):
             quality, firm = QUALITIES[w], True
         elif len(w) == 1:
             initials.append(w)
         else:
-            found = trade_of(w) if len(tokens) > 1 else ""
+            # where one word spells a trade out, no other is taken for a mistyped one
+            found = "" if len(tokens) < 2 else plain_trade(w) if plain else trade_of(w)
             if found and not trade:
                 trade, firm = found, True
             elif found and trade:
@@ -126,3 +144,48 @@ def keys(n: Name) -> list[tuple[str, str]]:
         elif not n.core and len(n.initials) > 1:
             out.add(("i", "".join(sorted(n.initials))))
     return sorted(out)
+
+
+def closeness(a: str, b: str) -> float:
+    """1 for words that sound alike down to 0 where half the letters of the shorter one differ."""
+    if a == b:
+        return 1.0
+    best = 0.0
+    for vowels in (True, False):  # oo may be typed for u or be an o typed twice
+        x, y = fold(a, vowels), fold(b, vowels)
+        half = 0.5 * max(1, min(len(x), len(y)))
+        best = max(best, 1.0 - min(1.0, slips(x, y, int(half) + 1) / half))
+    return best
+
+
+def _joined(core: list[str]) -> list[str]:
+    """Single words and neighbours typed apart."""
+    return [*core, *("".join(core[i : i + 2]) for i in range(len(core) - 1))]
+
+
+def firms_alike(a: dict, b: dict) -> float:
+    """Likeness of the distinctive parts of two firms' names (core, initials)."""
+    ca, cb = a["core"] or [], b["core"] or []
+    ia, ib = a["initials"] or [], b["initials"] or []
+    best = 0.0
+    if ca and cb:
+        best = closeness("".join(ca), "".join(cb))
+        if best < 1.0 and (len(ca) > 1 or len(cb) > 1):
+            best = max(best, closeness("".join(sorted(ca)), "".join(sorted(cb))))
+            if len(ca) == len(cb) == 2:
+                best = max(best, closeness("".join(ca[::-1]), "".join(cb)))
+    # a word cut to its first letter
+    for core, initials, other, others in ((ca, ia, cb, ib), (cb, ib, ca, ia)):
+        if len(core) == 1 and initials and (len(other) == 2 or len(other) == 1 and others):
+            for i, w in enumerate(other):
+                rest = [x[0] for j, x in enumerate(other) if j != i] or others
+                if fold(rest[0])[:1] in {fold(x)[:1] for x in initials}:
+                    best = max(best, 0.9 * closeness(core[0], w))
+        if not core and len(initials) > 1 and sorted(initials) == sorted([*(w[0] for w in other), *others]):
+            best = max(best, 0.5)
+    return best
+
+
+def person_in_firm(a: dict, b: dict) -> float:
+    """How well a word of one name, typed as one or two words, meets a word of the other."""
+    return max((closeness(x, y) for x in _joined(a["core"] or []) for y in _joined(b["core"] or []) if len(x) >= 4 and len(y) >= 4), default=0.0)

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -169,6 +172,50 @@ def test_top_sets_do_not_depend_on_blocks(spark):
     index = matching.weighted(matching.documents(records)).persist()
     whole, cut = ({(r.query, r.target, round(r.score, 6)) for r in matching.top_sets(index, block=b).collect()} for b in (10_000, 9))
     assert whole == cut and whole
+    plain = {(r.query, r.target, round(r.score, 6)) for r in matching.top_sets(index, prune=False).collect()}
+    assert whole == plain  # closing the search early changes no row
+
+
+def test_likeness_of_names():
+    def part(core, initials="", firm=True):
+        return {"core": core.split(), "initials": initials.split(), "firm": firm}
+
+    assert names.firms_alike(part("corsoo"), part("corsu")) == 1.0  # typed as it sounds
+    assert names.firms_alike(part("prafa"), part("parfa")) >= 0.6  # one slip
+    assert names.firms_alike(part("tele ganti"), part("teleganti")) == 1.0
+    assert names.firms_alike(part("norfa", "a"), part("norfa altsa")) == 0.9
+    assert names.firms_alike(part("norfa", "b"), part("norfa altsa")) < 0.9
+    assert names.firms_alike(part(""), part("norfa")) == 0.0
+    assert names.person_in_firm(part("harishwar salilore", firm=False), part("saali lore")) == 1.0
+    assert names.read("Epip Iris Traders").core == ("epip", "iris") and names.read("Epip Iris Traders").trade == "traders"
+    assert names.read("Stave Rynvodan (Private Limited) Modern").quality == "modern"
+
+
+def test_pairs_need_evidence_beside_nearness(spark):
+    # both alone in their place, so each other's best, but of other names
+    rows = [("A", "r", "1", ["gundakatti"], "timbers", True), ("B", "s", "1", ["belalakatti"], "timbers", True), ("C", "s", "2", ["nelamane"], "printers", True), ("D", "r", "2", ["lavilamane"], "", False)]
+    schema = "key string, register string, place string, core array<string>, trade string, firm boolean, initials array<string>, number string, old string, building string, street string, phone string, pan string, gstin string, email string"
+    records = spark.createDataFrame([(*r, [], "", "", "", "", None, None, None, None) for r in rows], schema)
+    assert matching.match(records).count() == 0
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """p1, p2 and p4 from a driver in another folder, with the package on the driver's path only."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from kinfold.session import build_session\n"
+        "from kinfold.llm import queries\n"
+        "spark = build_session('away', 'local[2]', spark__sql__shuffle__partitions='2', spark__driver__memory='2g')\n"
+        "for name in ('p1_found', 'p2_found', 'p4_found'):\n"
+        "    print(name, queries.QUERIES[name](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("_found ") == 3
 
 
 def test_empty_registers(spark):
