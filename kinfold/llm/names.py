@@ -154,7 +154,7 @@ def closeness(a: str, b: str) -> float:
     for vowels in (True, False):  # oo may be typed for u or be an o typed twice
         x, y = fold(a, vowels), fold(b, vowels)
         half = 0.5 * max(1, min(len(x), len(y)))
-        best = max(best, 1.0 - min(1.0, slips(x, y, int(half) + 1) / half))
+        best = max(best, 1.0 - min(1.0, slips(x, y, int(half)) / half))
     return best
 
 
