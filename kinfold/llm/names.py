@@ -18,7 +18,7 @@ SHORT_TRADES = {"ent": "enterprises", "ents": "enterprises", "tex": "textiles",
                 "trading": "traders", "gmts": "garments", "pharma": "pharmaceuticals", "inds": "industries", "agency": "agencies", "technology": "technologies", "industry": "industries"}
 QUALITIES = {"general": "general", "genl": "general", "new": "new", "nu": "new", "national": "national", "natl": "national", "precision": "precision", "precn": "precision",
              "modern": "modern", "mod": "modern", "allied": "allied", "alld": "allied", "royal": "royal", "ryl": "royal"}
-TITLES = frozenset("m s ms messrs mr mrs smt sri shri shree dr".split())
+TITLES = frozenset("ms messrs mr mrs smt sri shri shree dr".split())
 LEGAL = frozenset("private limited ltd pvt llp co company sons and liability partnership".split())
 _CUT = (*TRADES, "private", "pvt", "limited", "ltd", "llp", "sons", "company")
 _TAIL = ("private", "limited", "liability", "partnership", "company", "sons")
@@ -89,7 +89,7 @@ def _loose_trade(word: str) -> str:
 def read(name: str | None) -> Name:
     """Parts of a name; an empty name has no core."""
     t = re.sub(r"\bl\.?\s?l\.?\s?p\b\.?", " llp ", (name or "").lower())
-    t = re.sub(r"\bm\s?/\s?s\b\.?", " ", t)
+    t = re.sub(r"\bm\s?/\s?s\b\.?|^\s*m s(?= )", " ", t)
     tokens = re.sub(r"[^a-z0-9]+", " ", t.replace("&", " and ")).split()
     tokens = [w for w in tokens if w not in TITLES or len(tokens) == 1]
     firm = False

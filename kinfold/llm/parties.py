@@ -22,12 +22,21 @@ NAMES = {
 }
 PANS = {"ekarmika_records": "pan", "fbis_records": "occupier_pan", "kspcb_records": "pan"}
 
+#: Registers that file businesses; the others file whoever pays for the connection.
+ESTABLISHMENTS = frozenset(("ekarmika_records", "fbis_records", "kspcb_records"))
+
 PARTS = (
     "key string, register string, name string, core array<string>, trade string, firm boolean, initials array<string>, "
     "place string, number string, old string, building string, street string, phone string, pan string, gstin string, email string"
 )
 
 
+def _firm(n: names.Name, register: str) -> bool:
+    """Whether the name is a firm's: it is marked as one, or the register lists establishments only, or it
+    is a single word, where a person's has a second one or an initial."""
+    return n.firm or register in ESTABLISHMENTS or (len(n.core) == 1 and not n.initials)
+
+
 def _code(raw: Column, pattern: str) -> Column:
     """An identifier in capitals without blanks and hyphens; NULL if it does not have the form."""
     text = F.upper(F.regexp_replace(raw, r"[\s-]", ""))
@@ -83,7 +92,7 @@ def read_all(spark: SparkSession, tables: dict[str, DataFrame], localities: Data
                     pa.array(c["name"], text),
                     pa.array([list(n.core) for n in who], pa.list_(text)),
                     pa.array([n.trade for n in who], text),
-                    pa.array([n.firm for n in who], pa.bool_()),
+                    pa.array([_firm(n, r) for n, r in zip(who, c["register"])], pa.bool_()),
                     pa.array([list(n.initials) for n in who], pa.list_(text)),
                     *(pa.array([getattr(a, f) for a in where], text) for f in ("place", "number", "old", "building", "street")),
                     *(pa.array(c[f], text) for f in ("phone", "pan", "gstin", "email")),
