@@ -15,6 +15,8 @@ from kinfold.functions.canonical import sector_multiplier
 
 ALPHA, ACTIVE, DORMANT, NASCENT_DAYS, LOOKBACK = 1.5, 1.5, 0.4, 90, 730
 DEFAULT_CADENCE = 365
+#: Parts into which the events of an identity are ranked first.
+SALTS = 64
 
 
 def _signal(event_type: Column, signals: dict) -> Column:
@@ -70,20 +72,32 @@ def verdict_distribution(verdict_rows: DataFrame) -> DataFrame:
 
 
 def evidence(contributed: DataFrame) -> DataFrame:
-    """identity and its timeline, latest first (equal days: by event_id)."""
-    entry = F.struct("event_date", "event_id", "event_type", F.round("contribution", 4).alias("contribution"))
-    return contributed.groupBy("identity").agg(F.sort_array(F.collect_list(entry), asc=False).alias("timeline"))
+    """Timelines as rows, one per event, as an identity may hold a tenth of all: identity, event_date,
+    event_id, event_type, contribution."""
+    return contributed.select("identity", "event_date", "event_id", "event_type", (F.round("contribution", 4) + F.lit(0.0)).alias("contribution"))
 
 
 def top_evidence(contributed: DataFrame, k: int = 7) -> DataFrame:
     """The k strongest contributions of each identity and, as rank k + 1, the sum of the others."""
-    order = Window.partitionBy("identity").orderBy(F.desc(F.abs("contribution")), "event_id")
-    ranked = contributed.withColumn("rank", F.least(F.row_number().over(order), F.lit(k + 1)))
-    return ranked.groupBy("identity", "rank").agg(
-        (F.round(F.sum("contribution"), 4) + F.lit(0.0)).alias("contribution"),  # no negative zero
-        F.when(F.col("rank") <= k, F.min("event_id")).alias("event_id"),
-        F.count(F.lit(1)).alias("n_events"),
+    strongest = [F.desc(F.abs("contribution")), F.asc("event_id")]
+    part = Window.partitionBy("identity", "salt").orderBy(*strongest)
+    # first within parts of an identity, so that no task sorts all events of a large one
+    some = contributed.select("identity", "event_id", "contribution", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).alias("salt"))
+    some = some.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+    top = some.withColumn("rank", F.row_number().over(Window.partitionBy("identity").orderBy(*strongest))).where(F.col("rank") <= k)
+    top = top.select("identity", "rank", "contribution", "event_id")
+    zero = F.lit(0.0)  # added to results, as there is to be no negative zero
+    named = top.select("identity", "rank", (F.round("contribution", 4) + zero).alias("contribution"), "event_id", F.lit(1).cast("bigint").alias("n_events"))
+    whole = contributed.groupBy("identity").agg(F.sum("contribution").alias("all"), F.count(F.lit(1)).alias("n"))
+    held = top.groupBy("identity").agg(F.sum("contribution").alias("held"), F.count(F.lit(1)).alias("k"))
+    rest = whole.join(held, "identity").where("n > k").select(
+        "identity",
+        F.lit(k + 1).alias("rank"),
+        (F.round(F.col("all") - F.col("held"), 4) + zero).alias("contribution"),
+        F.lit(None).cast("string").alias("event_id"),
+        (F.col("n") - F.col("k")).alias("n_events"),
     )
+    return named.unionByName(rest)
 
 
 def source_lanes(events: DataFrame, reference: str, identity: str = "ubid") -> DataFrame:
@@ -100,8 +114,7 @@ def source_lanes(events: DataFrame, reference: str, identity: str = "ubid") -> D
 def resolve(events: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(joined, quarantined) by source and source record id; mapping: source_system, source_record_id,
     ubid. Of several identities of a record the smallest counts."""
-    one = mapping.groupBy("source_system", "source_record_id").agg(F.min("ubid").alias("ubid"))
-    both = events.drop("ubid").join(one, ["source_system", "source_record_id"], "left")
+    both = remap(events, mapping)
     reason = F.concat(F.lit("no identity for "), F.coalesce("source_system", F.lit("?")), F.lit("/"), F.coalesce("source_record_id", F.lit("?")))
     waiting = both.where("ubid IS NULL").drop("ubid").withColumns({"reason": reason, "retry_count": F.lit(0), "resolved": F.lit(False)})
     return both.where("ubid IS NOT NULL"), waiting
@@ -109,8 +122,9 @@ def resolve(events: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame
 
 def remap(events: DataFrame, mapping: DataFrame) -> DataFrame:
     """Events with the identity their record has now; those of unknown records keep NULL."""
-    joined, waiting = resolve(events, mapping)
-    return joined.select(*events.columns).unionByName(waiting.withColumn("ubid", F.lit(None).cast("string")).select(*events.columns))
+    one = mapping.groupBy("source_system", "source_record_id").agg(F.min("ubid").alias("ubid"))
+    columns = [c for c in events.columns if c != "ubid"] + ["ubid"]
+    return events.drop("ubid").join(one, ["source_system", "source_record_id"], "left").select(*columns)
 
 
 def retry_quarantine(quarantined: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -129,6 +129,8 @@ def pollution_board(frame: DataFrame) -> DataFrame:
     t = lambda *n: _text(frame, *n)
     address = F.concat_ws(", ", t("industrial_area"), t("taluk"), F.lower(t("district")), t("pin_code"))
     category = F.lower(t("industry_category"))
+    letters = F.create_map(*[F.lit(x) for c in ("red", "orange", "green", "white") for x in (c[0], c)])
+    category = F.coalesce(letters[category], category)
     return _canonical(
         frame, "kspcb", t("consent_file_no"), t("industry_name", "name"), F.when(address != "", address), parsed=False,
         pan=t("pan"), gstin=t("gstin"), email=t("email"), phone=t("phone"), sector_raw=t("sector"), nic_code=t("nic_code"), cin=C.clean_cin(t("cin")),

@@ -2,17 +2,23 @@
 
 Components are found by alternating two star rewrites of the edge list, each a grouped aggregate;
 every node's group minimum travels along, so no row is ever compared with a whole group. The edge
-list is written to the shared folder each round and the loop ends when it no longer changes.
+list is written to the shared folder each round and the loop ends when it no longer changes. A short
+edge list is joined by one task instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.session import Scratch
 
 MAX_ROUNDS = 60
+#: Edges up to which one task joins them by union-find; the rows are the same either way.
+FEW = 300_000
 
 
 def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,10 +26,42 @@ def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of distinct edges and two sums of their hashes: equal for equal sets of edges."""
+    h, g = F.xxhash64("a", "b"), F.xxhash64("b", "a", F.lit(1))
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum(g.cast("decimal(38,0)"))).first())
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and the smallest node joined with it, over all edges of the partition."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], ["node", "component"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes of the edges (a, b)."""
     scratch = Scratch(edges.sparkSession, "stars")
     now = scratch.write(undirected(edges))
+    mark = _mark(now)
+    if mark[0] <= FEW:
+        return now.coalesce(1).mapInArrow(_joined, "node string, component string")
     for _ in range(MAX_ROUNDS):
         # large star: neighbours greater than a node hang on the least of its neighbourhood
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,10 +71,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(root, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         before, now = now, scratch.write(small)
-        changed = now.exceptAll(before).limit(1).count() + before.exceptAll(now).limit(1).count()
-        if not changed:
-            break
         scratch.drop(before)
+        was, mark = mark, _mark(now)
+        if mark == was:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     labels = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return labels.union(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
 

@@ -111,14 +111,14 @@ def as_of_features(cum: DataFrame, as_of: Column | None = None, windows: Sequenc
 
 def features(long: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """Wide form: one row per entity; for each type <type>_n_events (0 if none), <type>_recency_days
-    (NULL if none) and <type>_total (0 if none). Other figures of the long form stay there.
+    (NULL if none) and <type>_total (0 if none). Other figures of the long form stay there. `types` are
+    columns whether or not they occur; types found beside them follow.
 
     The rows of an entity, at most one per type, are brought together before the pivot so that its
     wide buffers are built once per entity instead of once per input partition.
     """
-    if types is None:
-        found = long.select("event_type").distinct().orderBy("event_type").limit(MAX_TYPES + 1).collect()
-        types = [r[0] for r in found]
+    found = long.select("event_type").distinct().orderBy("event_type").limit(MAX_TYPES + 1).collect()
+    types = [*(types or ()), *(r[0] for r in found if r[0] not in set(types or ()))]
     if len(types) > MAX_TYPES:
         raise ValueError(f"more than {MAX_TYPES} event types: event_type is not a catalogue column")
     own = long.select("ubid", "event_type", "n_events", "recency_days", F.col("total").cast("double").alias("total"))

@@ -112,6 +112,27 @@ def duplicate_events(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def events_of_identity(events: DataFrame, identity: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Events of one identity, latest first; undated ones last."""
+    rows = events.where(F.col("ubid") == identity).orderBy(F.desc_nulls_last("event_date"), "event_id")
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
+
+
+def recall_of_all_pairs(scored: DataFrame, records: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """One row: true pairs counted from the sizes of the groups (ubid), so that those which blocking never
+    retrieved count too; how many were retrieved and linked; the recall of both. scored: a, b, p."""
+    named = records.where("ubid IS NOT NULL").select("canonical_id", "ubid").distinct()
+    sizes = named.groupBy("ubid").agg(F.count(F.lit(1)).alias("n"))
+    true = sizes.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("bigint")).alias("pairs"))
+    x = named.select(F.col("canonical_id").alias("a"), F.col("ubid").alias("ua"))
+    y = named.select(F.col("canonical_id").alias("b"), F.col("ubid").alias("ub"))
+    met = scored.join(x, "a").join(y, "b").where("ua = ub").agg(F.count(F.lit(1)).alias("retrieved"), F.count_if(F.col("p") >= threshold).alias("linked"))
+    share = lambda c: F.round(F.col(c) / F.col("pairs"), 4)
+    both = true.crossJoin(met)  # one row each
+    return both.select("pairs", "retrieved", "linked", share("retrieved").alias("recall_of_blocking"), share("linked").alias("recall"))
+
+
 def confusion(scored: DataFrame, threshold: float, p: str = "p", y: str = "y", bins: int = 10) -> DataFrame:
     """One row: tp, fp, fn, tn, precision, recall, f1 (0 where undefined), brier, ece. The last bin is
     closed; a score above 1 is in no bin but counts in the denominator."""

@@ -21,7 +21,48 @@ def enqueue(scored: DataFrame, queue: DataFrame | None = None) -> DataFrame:
     rows = scored.where((F.col("p") >= LOW) & (F.col("p") < HIGH)).groupBy(*keys).agg(F.max("p").alias("p"), F.max("name_score").alias("name_score"), F.max("pin_equal").alias("pin_equal"))
     if queue is not None:
         rows = rows.join(queue.select(*keys), keys, "left_anti")
-    return rows.select(*keys, "p", priority(F.col("p"), F.col("name_score"), F.col("pin_equal")).alias("priority"), F.lit("pending").alias("status"))
+    rows = rows.select(*keys, "p", priority(F.col("p"), F.col("name_score"), F.col("pin_equal")).alias("priority"), F.lit("pending").alias("status"))
+    return rows.orderBy(F.desc("priority"), *keys)
+
+
+def pending_items(queue: DataFrame, records: DataFrame, low_stakes: float | None = None, limit: int | None = None) -> DataFrame:
+    """What a reviewer is shown: pending pairs of the queue with the names and sources of both records, the
+    highest priority first; with `low_stakes` only pairs up to that priority, the most certain first (for
+    juniors). Pairs one of whose records is gone are left out."""
+    rows = queue.where("status = 'pending'")
+    order = [F.desc("priority")]
+    if low_stakes is not None:
+        rows, order = rows.where(F.col("priority") <= low_stakes), [F.desc("p")]
+    for s in "ab":
+        rows = rows.join(records.select(F.col("canonical_id").alias(f"canonical_id_{s}"), F.col("name_raw").alias(f"name_{s}"), F.col("source_system").alias(f"source_{s}")), f"canonical_id_{s}")
+    rows = rows.orderBy(*order, "canonical_id_a", "canonical_id_b")
+    return rows if limit is None else rows.limit(limit)
+
+
+def decision_log(log: DataFrame, records: DataFrame) -> DataFrame:
+    """Decisions with the names of both records, latest first; records that are gone leave the name NULL."""
+    for s in "ab":
+        log = log.join(records.select(F.col("canonical_id").alias(s), F.col("name_raw").alias(f"name_{s}")), s, "left")
+    return log.orderBy(F.desc("decided_at"), "a", "b")
+
+
+def retrain_report(before: DataFrame, after: DataFrame, labels: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Quality of the scores before and after a retraining on the same labelled pairs: run, precision, recall,
+    f1, brier. Scores: a, b, p; labels: a, b, y."""
+    runs = None
+    for name, scores in (("before", before), ("after", after)):
+        own = scores.join(labels, ["a", "b"]).withColumn("run", F.lit(name)).select("run", "p", "y")
+        runs = own if runs is None else runs.unionByName(own)
+    hit, true = F.col("p") >= threshold, F.col("y") == 1
+    out = runs.groupBy("run").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    share = lambda n, d: F.round(F.when(d > 0, n / d).otherwise(0.0), 4)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return out.select("run", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), F.round("brier", 4).alias("brier"))
+
+
+def retrain_history(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The latest retraining runs (started_at, ...), newest first."""
+    return runs.orderBy(F.desc("started_at")).limit(limit)
 
 
 def latest_decisions(log: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.dictionaries import HEURISTIC_WEIGHTS
-from kinfold.operators.features import NAMES, vector
+from kinfold.operators.features import NAMES, pair_features, vector
 
 AUTO, REVIEW = 0.95, 0.55
 
@@ -77,6 +77,21 @@ def score(featured: DataFrame) -> DataFrame:
     ).withColumn("decision", band(F.col("probability"), F.col("tier.is_match")))
 
 
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """`score` of pairs (structs a and b) whose features are only computed where the fixed rules do not
+    decide: canonical_id_a, canonical_id_b, tier, raw_score, probability, decision, explanation."""
+    columns = ("canonical_id_a", "canonical_id_b", "tier", "raw_score", "probability", "decision", "explanation")
+    ruled = pairs.withColumn("tier", deterministic_tier())
+    match = F.col("tier.is_match")
+    none = F.lit(None)
+    decided = ruled.where(match.isNotNull()).select(
+        "canonical_id_a", "canonical_id_b", "tier", none.cast("double").alias("raw_score"), F.col("tier.probability").alias("probability"),
+        band(F.col("tier.probability"), match).alias("decision"), none.cast("map<string,double>").alias("explanation"),
+    )
+    open_ = score(pair_features(ruled.where(match.isNull()).drop("tier"))).withColumn("explanation", heuristic_explanation())
+    return decided.unionByName(open_.select(*columns))
+
+
 def to_rescore(scored: DataFrame, pending: DataFrame, low: float = 0.20, high: float = 0.97) -> DataFrame:
     """Pairs near a decision or waiting for review, each once."""
     keys = ["canonical_id_a", "canonical_id_b"]

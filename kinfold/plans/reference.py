@@ -11,7 +11,7 @@ from kinfold.functions import canonical as C
 from kinfold.functions import dictionaries as D
 from kinfold.functions import similarity as S
 from kinfold.operators import activity, adapters, blocking, clustering, features, reports, review, scoring
-from kinfold.session import table
+from kinfold.session import Scratch, table
 
 REFERENCE_DAY = "2025-05-01"
 SQL_WEIGHTS = {k: v for k, v in D.HEURISTIC_WEIGHTS.items() if k in ("name_jaccard_trigram", "addr_pin_eq", "id_phone_eq", "id_pan_agreement", "blk_shared_pan")}
@@ -132,7 +132,12 @@ def evidence_top7(spark, root):
 @query(f"SELECT identity, count(*) AS n_entries, max(event_date) AS latest FROM {_CONTRIB} GROUP BY identity")
 def evidence_timeline(spark, root):
     lines = activity.evidence(_contributions(spark, root))
-    return lines.select("identity", F.size("timeline").cast("bigint").alias("n_entries"), F.col("timeline")[0]["event_date"].alias("latest"))
+    return lines.groupBy("identity").agg(F.count(F.lit(1)).alias("n_entries"), F.max("event_date").alias("latest"))
+
+
+@query(f"SELECT identity, event_date, event_id, event_type, round(contribution, 4) + 0.0 AS contribution FROM {_CONTRIB}")
+def evidence_lines(spark, root):
+    return activity.evidence(_contributions(spark, root))
 
 
 @query(f"""SELECT ubid AS identity, source_system, min(event_date) AS first_event, max(event_date) AS last_event, count(*) AS n_events,
@@ -389,8 +394,8 @@ def heuristic_score(spark, root):
 
 @query()
 def scored_pairs(spark, root):
-    scored = scoring.score(features.pair_features(_pairs(spark, root)))
-    top = scoring.top_factors(scoring.heuristic_explanation())
+    scored = scoring.score_pairs(_pairs(spark, root))
+    top = scoring.top_factors(F.col("explanation"))
     return scored.select("canonical_id_a", "canonical_id_b", "tier.reason", "raw_score", "probability", "decision", F.to_json(top).alias("factors"))
 
 
@@ -399,7 +404,7 @@ def trained_scores(spark, root):
     """Trees trained on whether pairs share their group, applied to every pair; `held` marks the labelled
     pairs the trees were not trained on. They stop the training and fit the calibration."""
     rows = features.pair_features(_pairs(spark, root)).withColumn("label", (F.col("a.ubid") == F.col("b.ubid")).cast("int")).drop("a", "b")
-    rows = rows.persist()
+    rows = Scratch(spark, "trained").write(rows)  # read by the training, the calibration and the scores
     scorer = scoring.TrainedScorer()
     scored = scorer.fit(rows.where("label IS NOT NULL")).transform(rows).withColumn("held", scorer.held() & F.col("label").isNotNull())
     return scored.select("canonical_id_a", "canonical_id_b", "label", "raw_score", "calibrated_probability", "held")

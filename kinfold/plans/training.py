@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinfold.functions.dictionaries import SIGNALS
 from kinfold.operators import entity_features, lateness
 from kinfold.session import Scratch, table
 
 WINDOWS = (30, 90, 365)
 
+# Matters of which each register records every outcome, beside the scored signals.
+OUTCOMES = ("approved", "cancelled", "filed", "queried", "received", "rejected", "returned")
+MATTERS = {
+    "bescom": "arrears_notice deposit load_revision meter_reading meter_swap transformer_check",
+    "bwssb": "arrears_notice borewell_check deposit meter_reading meter_swap sewer_check",
+    "fac": "boiler_test canteen_return fee hoist_test overtime_notice plan_change safety_drill",
+    "kspcb": "bank_guarantee effluent_sample fee hazwaste_return noise_check stack_sample",
+    "se": "fee holiday_list leave_return shift_notice signboard wage_register",
+}
+EVENT_TYPES = tuple(sorted([*SIGNALS, *(f"{r}_{m}_{o}" for r, words in MATTERS.items() for m in words.split() for o in OUTCOMES)]))
+
 
 def p3_entity_features(spark: SparkSession, root: str) -> DataFrame:
     cum = entity_features.cumulative(table(spark, root, "activity_events"))
     kept = Scratch(spark, "p3").write(cum, "cumulative")  # read for the last day, the types and the features
-    return entity_features.features(entity_features.as_of_features(kept))
+    return entity_features.features(entity_features.as_of_features(kept), EVENT_TYPES)
 
 
 def p3_windowed_long(spark: SparkSession, root: str) -> DataFrame:
@@ -63,10 +75,13 @@ FROM activity_events GROUP BY event_id
 """
 
 ORACLE: dict[str, str] = {
-    "p3_entity_features": f"""
-PIVOT (SELECT ubid, event_type, n_events, recency_days, total FROM ({_LONG}))
-ON event_type USING coalesce(sum(n_events), 0)::BIGINT AS n_events, max(recency_days) AS recency_days, coalesce(sum(total), 0) AS total
-GROUP BY ubid""",
+    "p3_entity_features": "SELECT ubid, "
+    + ", ".join(
+        f"coalesce(sum(n_events) FILTER (event_type = '{t}'), 0)::BIGINT AS {t}_n_events, max(recency_days) FILTER (event_type = '{t}') AS {t}_recency_days, "
+        f"coalesce(sum(total) FILTER (event_type = '{t}'), 0) AS {t}_total"
+        for t in EVENT_TYPES
+    )
+    + f" FROM ({_LONG}) GROUP BY ubid",
     "p3_windowed_long": _LONG,
     "p6_found": f"SELECT event_id FROM ({_JUDGED}) e JOIN lateness_cutoffs c USING (source_system) WHERE arrival_date - event_date > cutoff_days",
     "p6_triangle": f"""

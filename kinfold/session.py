@@ -36,11 +36,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as `spark.checkpoint.dir` names it.
 
-    Only where the setting is absent (tests, a laptop) a local temporary folder stands in.
+    Only where the setting is absent on a local master (tests, a laptop) a temporary folder stands in.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.TemporaryDirectory(prefix="kinfold-")

@@ -19,18 +19,23 @@ from kinfold.sources.readers import validate_events
 def process_batch(raw: DataFrame, mapping: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(joined, quarantined, rejected) of one batch of JSON texts in `value`."""
     valid, rejected = validate_events(raw)
-    once = append_events(valid.withColumn("ingested_at", F.lit(None).cast("timestamp")).withColumn("metadata", F.to_json("metadata")), stored)
-    joined, waiting = resolve(once.drop("ingested_at"), mapping)
+    once = append_events(valid.withColumn("ingested_at", F.current_timestamp()).withColumn("metadata", F.to_json("metadata")), stored)
+    joined, waiting = resolve(once, mapping)
     return joined, waiting, rejected
 
 
 def _stored(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
     """Rows of earlier batches only: the batch's own folder may be left from a failed attempt."""
-    try:
-        parts = [spark.read.parquet(f"{root}/{name}").select("event_id", "batch") for name in ("joined", "quarantine")]
-    except Exception:  # nothing was written yet
+    parts = [spark.read.parquet(f"{root}/{name}").select("event_id", "batch") for name in ("joined", "quarantine") if _exists(spark, f"{root}/{name}")]
+    if not parts:
         return None
-    return parts[0].unionByName(parts[1]).where(F.col("batch") < batch_id).select("event_id")
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.where(F.col("batch") < batch_id).select("event_id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def start_ingest(raw: DataFrame, mapping: Callable[[], DataFrame], root: str, checkpoint: str):
