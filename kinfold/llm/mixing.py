@@ -139,7 +139,8 @@ def mix(
             todo.append((int(b), copies + 1, np.inf if at + n <= part else part - at))
         units[s] = [todo[i] for i in rng.permutation(len(todo))]
     total = sum((plan[s][2] * stats[s][0] + plan[s][3]) for s in order)
-    shards = max(1, round(total / shard_tokens))
+    # blocks grow with the data, as their number is bounded; shards grow with them, so that none stays empty
+    shards = max(1, min(round(total / shard_tokens), sum(map(len, units.values())) // 4))
     quotas = split_quotas([len(units[s]) for s in order], shards, seed)
     rows = []
     for i, s in enumerate(order):

@@ -14,7 +14,8 @@ and beyond that from a shuffled join on the pair; both give the same figures.
 Words are runs of letters, digits counting as one symbol each; letters outside ASCII stay as they
 are, case is folded for ASCII. Defined results: a missing, empty or very short text (fewer than
 `MIN_WORDS` words) is not spam; a doc_id in several rows is spam if one of its texts is; without
-reviewed pages of both kinds a fixed rule on incoherent and repeated windows decides.
+reviewed pages of both kinds (10 in all, 3 of each) the distance from the corpus's median page decides:
+erratic PMI and recurring collocations for, frequent words against (`_unusual`).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.fitting import logistic, sigmoid
@@ -32,6 +33,8 @@ from kinfold.session import Scratch
 
 WINDOW = 24
 MIN_WORDS = 12
+#: Without reviewed pages: the distance from the median page, in quartile ranges, that makes spam.
+UNUSUAL = 9.0
 #: Reviewed samples hold far more spam than a crawl, so a page needs more than even odds.
 THRESHOLD = 0.8
 #: Distinct word pairs up to which PMI is broadcast (some 120 bytes each in a worker).
@@ -197,8 +200,6 @@ class Model:
         return np.clip((x - of[0]) / of[1], -4.0, 4.0)
 
     def _windows(self, x: np.ndarray) -> np.ndarray:
-        if self.window is None:
-            return ((x[:, 1] > 0.25) | ((x[:, 4] > 0.3) & (x[:, 5] < 0.35))).astype(float)
         scale, w = self.window
         return sigmoid(_expand(self._scaled(x, scale)) @ w)
 
@@ -225,8 +226,6 @@ class Model:
 
     def score(self, text_of: np.ndarray, x: np.ndarray, page: np.ndarray) -> np.ndarray:
         page = self._page(text_of, self._windows(x), page)
-        if self.page is None:  # a page of which half the windows are flagged reaches the threshold
-            return np.minimum(1.0, page[:, 1] * 2 * THRESHOLD)
         scale, w = self.page
         return sigmoid(np.hstack([self._scaled(page, scale), np.ones((len(page), 1))]) @ w)
 
@@ -280,6 +279,37 @@ def _with_pmi(documents: DataFrame, information: DataFrame) -> DataFrame:
     return once.join(lists, "k", "left").select("doc_id", "text", F.col("p.pmi").alias("pmis"))
 
 
+_PAGES = "doc_id bigint, n_words bigint, mean_pmi double, erratic double, repeated double, plain double"
+
+
+def _pages(read):
+    """Per page the spread of PMI within its windows, how often its collocations recur and its share of
+    the corpus's most frequent words, each as the mean over its windows; NULL without any window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, page, average, of, x in read(batches):
+            n = np.bincount(of, minlength=len(ids))
+            means = [np.bincount(of, x[:, i], minlength=len(ids)) / np.maximum(n, 1) for i in (6, 7, 5)]
+            columns = [pa.array(m, mask=n == 0) for m in means]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(page[:, 0].astype(np.int64)), pa.array(average), *columns], _PAGES.replace(" bigint", "").replace(" double", "").split(", "))
+
+    return run
+
+
+def _unusual(pages: DataFrame) -> DataFrame:
+    """The rule without reviewed pages: how far a page lies from the corpus's median page, in units of
+    the quartile range: erratic PMI and recurring collocations for spam, frequent words against it."""
+    quartiles = pages.where(F.col("n_words") >= MIN_WORDS).agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in ("erratic", "repeated", "plain")]).first()
+
+    def apart(c: str) -> Column:
+        low, middle, high = quartiles[c] or (0.0, 0.0, 0.0)
+        return F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(c) - middle) / ((high - low) / 1.349 + 1e-6)))
+
+    far = apart("erratic") + 0.3 * apart("repeated") - apart("plain")
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), THRESHOLD * far / UNUSUAL))
+    return pages.select("doc_id", "n_words", "mean_pmi", F.coalesce(F.when(F.col("n_words") >= MIN_WORDS, p), F.lit(0.0)).alias("spam_probability"))
+
+
 def scored(documents: DataFrame, labels: DataFrame | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """A row per document: doc_id, n_words, mean_pmi, spam_probability."""
     spark = documents.sparkSession
@@ -320,12 +350,16 @@ def scored(documents: DataFrame, labels: DataFrame | None = None, max_broadcast:
             of = np.repeat(np.arange(len(rows)), [len(v) for v in x])
             model = model.fit(of, np.vstack(x), np.array([r.page for r in rows]), y)
 
+    typed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if model.page is None:
+        return _unusual(scratch.write(source(typed).mapInArrow(_pages(read), _PAGES), "pages"))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, page, average, of, x in read(batches):
             p = np.where(page[:, 0] < MIN_WORDS, 0.0, model.score(of, x, page))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(page[:, 0].astype(np.int64)), pa.array(average), pa.array(p)], ["doc_id", "n_words", "mean_pmi", "spam_probability"])
 
-    return source(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(
+    return source(typed).mapInArrow(
         score, "doc_id bigint, n_words bigint, mean_pmi double, spam_probability double"
     )
 

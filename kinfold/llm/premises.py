@@ -113,8 +113,10 @@ def learn_aliases(rows: DataFrame, places: list[tuple]) -> list[tuple[str, str]]
         .withColumn("k", F.row_number().over(most))
         .where((F.col("k") == 1) & (F.col("n") >= ALIAS_SEEN) & (F.col("n") >= ALIAS_SHARE * F.col("all")))
     )
-    # names of places: as many as there are places, not rows; the most frequent come first
-    found = [(r.word, r.place) for r in best.orderBy(F.desc("n"), "word").limit(MAX_PLACES).collect()]
+    # names of places: as many as there are places, not rows
+    found = [(r.word, r.place) for r in best.orderBy(F.desc("n"), "word").limit(MAX_PLACES + 1).collect()]
+    if len(found) > MAX_PLACES:
+        raise ValueError(f"more than {MAX_PLACES} further names of places")
     return [(w, p) for w, p in found if not any(w != other and w in other and p == at for other, at in found)]
 
 
@@ -290,12 +292,12 @@ def same_premises(parsed: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def premises_pairs(classed: DataFrame) -> DataFrame:
-    """record_a < record_b of the same premises; records of a class that contradict each other directly
-    (another number, another street) are no pair."""
-    a = classed.select("premises", F.col("key").alias("record_a"), F.col("number").alias("na"), F.col("street").alias("sa"))
-    b = classed.select("premises", F.col("key").alias("record_b"), F.col("number").alias("nb"), F.col("street").alias("sb"))
+    """record_a < record_b of the same premises; records of a class with different numbers are no pair. `classed`
+    has a row per key, so no pair comes twice."""
+    a = classed.select("premises", F.col("key").alias("record_a"), F.col("number").alias("na"))
+    b = classed.select("premises", F.col("key").alias("record_b"), F.col("number").alias("nb"))
     numbers = (F.col("na") == "") | (F.col("nb") == "") | (F.col("na") == F.col("nb"))
-    return a.join(b, "premises").where((F.col("record_a") < F.col("record_b")) & numbers).select("record_a", "record_b").distinct()
+    return a.join(b, "premises").where((F.col("record_a") < F.col("record_b")) & numbers).select("record_a", "record_b")
 
 
 def parsed_addresses(spark: SparkSession, wanted: dict[str, DataFrame], more: dict[str, DataFrame], localities: DataFrame, scratch: Scratch) -> DataFrame:

@@ -153,7 +153,9 @@ def survivors(records: DataFrame, localities: DataFrame | None = None, labels: D
         odds = scratch.write(learned, "odds")
     if truth is None:
         return _latest(_candidates(obs, odds, ()), {})
-    sources = [r[0] for r in obs.select("source").distinct().orderBy("source").limit(MAX_SOURCES).collect()]
+    sources = [r[0] for r in obs.select("source").distinct().orderBy("source").limit(MAX_SOURCES + 1).collect()]
+    if len(sources) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} registers: source_system is not a catalogue column")
     candidates = scratch.write(_candidates(obs, odds, sources), "candidates")
     return _latest(candidates, _fit(candidates, truth, sources))
 

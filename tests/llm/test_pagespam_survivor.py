@@ -101,3 +101,23 @@ def test_survivors_learn_from_labels(spark):
     df = spark.createDataFrame(rows, RECORDS)
     got = {r.ubid: r.field_value for r in survivor.survivors(df, None, spark.createDataFrame(labels, "ubid string, field_name string, field_value string")).where("field_name = 'phone'").collect()}
     assert sum(got[u] == v for u, v in truth.items()) >= 0.95 * len(truth)
+
+
+def test_pages_without_labels_are_judged_by_their_distance(spark):
+    import random as r
+
+    rnd = r.Random(5)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i % 7}" for i in range(900)]
+    subjects, verbs = ["the court of the", "a tenant in the", "the carrier and the"], ["finds that", "denies that", "records that"]
+    rows = []
+    for i in range(200):
+        if i % 20 == 0:  # a few odd words in turns, frequent ones absent
+            few = rnd.sample(vocabulary, 6)
+            rows.append((i, " ".join(rnd.choice(few) for _ in range(40)) + " " + " ".join(rnd.sample(vocabulary, 30))))
+        else:
+            rows.append((i, " ".join(f"{rnd.choice(subjects)} {rnd.choice(vocabulary)} {rnd.choice(verbs)} it was so." for _ in range(rnd.randint(8, 30)))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {x.doc_id for x in pagespam.spam_pages(docs).collect()}
+    assert found <= {i for i in range(200) if i % 20 == 0} and len(found) >= 6
+    assert found == {x.doc_id for x in pagespam.spam_pages(docs, max_broadcast=0).collect()}
+    assert pagespam.spam_pages(docs.limit(0)).count() == 0
