@@ -10,8 +10,9 @@ is fixed for good. Nothing else fits: the document is alone. One companion fills
 no two documents fit beside it and the largest that does is taken: in any packing the companions can
 be exchanged for it without using more containers. What is left is packed best fit, largest first.
 
-Ranks are exact without gathering a size in one task: documents of a size are split over hash
-buckets, numbered inside a bucket, and shifted by the sizes of the buckets before it.
+Ranks are exact without gathering a size in one task: documents of a frequent size are split over hash
+buckets, numbered inside a bucket, and shifted by the sizes of the buckets before it. Rare sizes are one
+bucket, so the shifts that are broadcast stay a few for every `BUCKET_ROWS` documents.
 
 Defined results: a document longer than the capacity is cut into full pieces and a rest; nothing else
 is cut. Documents of 0 tokens (missing or empty texts) go into container 0. A doc_id in several rows
@@ -185,20 +186,24 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str | None = N
         "piece_no",
         F.least(F.col("n_tokens") - F.col("piece_no") * F.col("capacity"), F.col("capacity")).alias("size"),
     )
-    total = sizes.count()
-    buckets = max(1, -(-total * len(kinds) // bucket_rows))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int"))
-    parts = scratch.write(pieces.groupBy("container_kind", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    histogram: dict[str, dict[int, int]] = {k: {} for k in kinds}
+    for k, s, n in pieces.groupBy("container_kind", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows a kind
+        histogram[k][int(s)] = int(n)
+    # only sizes of more than `bucket_rows` pieces are split, so buckets number less than twice pieces / bucket_rows, whatever the sizes
+    many = [(k, s, -(-n // bucket_rows)) for k, h in sorted(histogram.items()) for s, n in sorted(h.items()) if n > bucket_rows]
+    split = F.broadcast(spark.createDataFrame(many, "container_kind string, size bigint, buckets bigint"))
+    bucket = F.coalesce(F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("buckets")), F.lit(0)).cast("int")
+    pieces = pieces.join(split, ["container_kind", "size"], "left").withColumn("bucket", bucket)
+    parts = scratch.write(pieces.where("buckets IS NOT NULL").groupBy("container_kind", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
     before = Window.partitionBy("container_kind", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = parts.select("container_kind", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    histogram: dict[str, dict[int, int]] = {k: {} for k in kinds}
-    for k, s, n in parts.groupBy("container_kind", "size").agg(F.sum("n")).collect():  # at most `capacity` rows a kind
-        if s > 0:
-            histogram[k][int(s)] = int(n)
+    for h in histogram.values():
+        h.pop(0, None)  # documents without tokens take no room
     held = spark.sparkContext.broadcast({k: _places(solve(h, kinds[k])) for k, h in histogram.items()})
     here = Window.partitionBy("container_kind", "size", "bucket").orderBy("doc_id", "piece_no")
-    ranked = pieces.withColumn("in_bucket", F.row_number().over(here) - 1).join(shifts, ["container_kind", "size", "bucket"])
-    ranked = ranked.select("container_kind", "doc_id", "piece_no", "size", (F.col("in_bucket") + F.col("shift")).alias("rank"))
+    ranked = pieces.withColumn("in_bucket", F.row_number().over(here) - 1).join(F.broadcast(shifts), ["container_kind", "size", "bucket"], "left")
+    rank = (F.col("in_bucket") + F.coalesce("shift", F.lit(0))).alias("rank")
+    ranked = ranked.select("container_kind", "doc_id", "piece_no", "size", rank)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = held.value

@@ -113,6 +113,29 @@ def test_every_piece_gets_one_place(spark):
     assert packing.pack(docs.limit(0), kinds).count() == 0 and packing.pack(docs, kinds.limit(0)).count() == 0
 
 
+@needs_vocabulary
+def test_broadcast_shifts_do_not_grow_with_sizes(spark, monkeypatch):
+    """What the driver broadcasts stays under two rows for every `bucket_rows` pieces, however many sizes there are."""
+    written, write = {}, packing.Scratch.write
+
+    def counted(self, frame, name="part"):
+        kept = write(self, frame, name)
+        written[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(packing.Scratch, "write", counted)
+    docs = spark.createDataFrame([(i, "law " * (1 + i % 50 if i % 2 else 7)) for i in range(1000)], "doc_id bigint, text string")
+    kinds = spark.createDataFrame([("small", 16), ("large", 64)], "container_kind string, capacity_tokens int")
+    rows = packing.pack(docs, kinds, bucket_rows=100).collect()
+    assert sum(n for name, n in written.items() if name != "tokens") <= 2 * len(rows) / 100
+    filled = Bag()
+    for r in rows:
+        filled[r.container_kind, r.container_id] += r.n_tokens
+    assert all(n <= (16 if k == "small" else 64) for (k, _), n in filled.items())
+    assert len({(r.container_kind, r.doc_id, r.piece_no) for r in rows}) == len(rows)
+    assert len({r.doc_id for r in rows}) == 1000
+
+
 def test_quotas_are_exact():
     q = mixing.split_quotas([100, 7, 0, 55], 9, 3)
     assert q.sum(0).tolist() == [100, 7, 0, 55] and abs(q.sum(1) - 18).max() <= 2
