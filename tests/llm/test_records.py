@@ -226,3 +226,38 @@ def test_empty_registers(spark):
     records = read(spark, none, places, "ekarmika_records", "fbis_records")
     assert spellings.variants(records).count() == 0
     assert matching.closed(matching.match(records), records).count() == 0
+
+
+def plain_distance(a, b, exchanges):
+    """The whole table of edit distances, with exchanged neighbours as one slip if asked for."""
+    d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if exchanges and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_distances_equal_the_plain_table():
+    rnd = random.Random(8)
+    for _ in range(3000):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 8)))
+        b = "".join(rnd.sample(a, len(a))) if rnd.random() < 0.3 else "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40)))
+        most = rnd.choice([1, 3, 99])
+        for measure, exchanges in ((addresses.edit, False), (addresses.slips, True)):
+            got, want = measure(a, b, most), plain_distance(a, b, exchanges)
+            assert got == want or min(got, want) > most, (a, b, most)
+
+
+def test_places_met_before_are_not_looked_up_again(monkeypatch):
+    """A worker keeps its places between tasks and finds the place of a wording once."""
+    rows = [("1", "Hosugere Layout", "", "Kadur", "Mysagar District", "560001"), ("2", "Belinagara", "", "Kadur", "Mysagar District", "560002")]
+    looked, find = [], addresses.Places._find
+    monkeypatch.setattr(addresses.Places, "_find", lambda self, *x: looked.append(x) or find(self, *x))
+    for n in range(50):
+        known = addresses.opened(list(rows))
+        assert addresses.read(f"{n + 1}, Kiln Road, Hosugare Layout", known).place == "1"
+        assert [p for p, _ in addresses.places_named(f"# {n + 1}, Belinagara", known, "Belinagar ; Kadur", None)] == ["2"] * 3
+    assert len(looked) <= 4
+    assert addresses.opened(rows, [("navagrama", "2")]).find("navagrama", "", 0)[0] == "2"
