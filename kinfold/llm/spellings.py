@@ -58,7 +58,7 @@ def points(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[], [], [], []]
-            for r in batch.to_pylist():
+            for r in parties.dicts(batch):
                 key, core, trade, firm, initials, place, phone = (r[c] for c in ("key", "core", "trade", "firm", "initials", "place", "phone"))
                 own = [(k, fold(text)) for k, text in names.keys(names.Name(tuple(core), trade, firm, tuple(initials)))]
                 if not firm and core:
@@ -278,7 +278,7 @@ def variants(records: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ka, kb, kind, a, b = (batch.column(i).to_pylist() for i in range(5))
+            (ka, kb, kind), (a, b) = map(parties.values, batch.columns[:3]), map(parties.dicts, batch.columns[3:])
             keep = [i for i in range(len(ka)) if _same_party(a[i], b[i], kind[i])]
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for i in keep], pa.string()) for k in (ka, kb)], ["record_a", "record_b"])
 

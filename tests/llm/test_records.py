@@ -6,6 +6,7 @@ import random
 import subprocess
 import sys
 
+import pyarrow as pa
 import pytest
 
 from kinfold.llm import addresses, matching, names, parties, premises, spellings
@@ -261,3 +262,20 @@ def test_places_met_before_are_not_looked_up_again(monkeypatch):
         assert [p for p, _ in addresses.places_named(f"# {n + 1}, Belinagara", known, "Belinagar ; Kadur", None)] == ["2"] * 3
     assert len(looked) <= 4
     assert addresses.opened(rows, [("navagrama", "2")]).find("navagrama", "", 0)[0] == "2"
+
+
+def test_rows_read_by_column_equal_to_pylist():
+    kind = pa.struct([("a", pa.string()), ("b", pa.list_(pa.string())), ("c", pa.bool_()), ("d", pa.list_(pa.float64())), ("e", pa.float64()), ("f", pa.int64())])
+    rows = [{"a": None if i % 3 == 0 else f"é{i}", "b": [str(k) for k in range(i % 4)], "c": i % 2 == 0, "d": [0.5 * k for k in range(i % 3)], "e": i / 7, "f": None if i == 4 else i} for i in range(50)]
+    held = pa.array([*rows, dict.fromkeys("abcdef")], kind)
+    for some in (held, held[:50], held[7:31], held[49:], held[:0]):
+        assert parties.dicts(some) == some.to_pylist()
+    assert parties.dicts(pa.RecordBatch.from_struct_array(held).slice(9, 5)) == rows[9:14]
+
+
+def test_words_compared_before_are_not_measured_again(monkeypatch):
+    measured, slips = [], names.slips
+    monkeypatch.setattr(names, "slips", lambda *x: measured.append(x) or slips(*x))
+    first = names.closeness("hosugereqx", "hosagereqx")
+    assert 0.5 < first < 1.0 and len(measured) <= 2
+    assert all(names.closeness("hosugereqx", "hosagereqx") == first for _ in range(9)) and len(measured) <= 2
